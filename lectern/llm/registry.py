@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import queries_match, queries_pieces, queries_spans
+from lectern.llm import queries_match, queries_pieces, queries_spans, queries_survivor
 
-_MODULES = (queries_match, queries_pieces, queries_spans)
+_MODULES = (queries_match, queries_pieces, queries_spans, queries_survivor)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

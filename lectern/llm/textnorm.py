@@ -142,3 +142,12 @@ def sentences_of(text: str | None) -> list[str]:
     if parts and (cut or parts[-1][-1] not in ".!?"):
         parts.pop()
     return [" ".join(words_of(p)) for p in parts]
+
+
+# What stands where nobody is named.
+_NOBODY = frozenset("anonymous|anon|unknown|n a|na|no authors listed|no author|none|et al|various|various authors|author unknown|authors|staff|editor|editors|null".split("|"))
+
+
+def is_nobody(name: str | None) -> bool:
+    """Whether a name stands for an absent author."""
+    return not name or " ".join(words_of(name)) in _NOBODY or not words_of(name)
