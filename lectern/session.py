@@ -9,6 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Without this a union of differently partitioned plans below a join fails to be planned in Spark 4.1.
+SETTINGS = {"spark.sql.unionOutputPartitioning": "false"}
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """A session made elsewhere, with the settings the plans here rely on."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def session(app: str = "lectern", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults every plan here is written for (UTC, AQE, Arrow)."""
     builder = SparkSession.builder.appName(app)
@@ -20,7 +31,7 @@ def session(app: str = "lectern", master: str | None = None, **conf: str) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-    }
+    } | SETTINGS
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
