@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
+
+import xxhash
 
 _MOJIBAKE = re.compile("[ÂÃÅâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,40}>")
@@ -40,9 +41,8 @@ def plain(text: str | None) -> str:
 
 
 def number(text: str) -> int:
-    """A 62-bit number of a text, the same in every process."""
-    raw = text.encode("utf-8", "surrogatepass")
-    return zlib.crc32(raw) << 30 ^ zlib.adler32(raw) ^ zlib.crc32(raw[::-1])
+    """A 63-bit number of a text, the same in every process."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
 def doi_of(raw: str | None) -> str:
@@ -141,7 +141,7 @@ def sentences_of(text: str | None) -> list[str]:
     parts = [p for p in _SENTENCE.split((text[: cut.start()] if cut else text).strip()) if p]
     if parts and (cut or parts[-1][-1] not in ".!?"):
         parts.pop()
-    return [" ".join(words_of(p)) for p in parts]
+    return [" ".join(p.lower().split()) for p in parts]
 
 
 # What stands where nobody is named.
