@@ -136,9 +136,10 @@ def sentences_of(text: str | None) -> list[str]:
     """Normal forms of the whole sentences of an abstract; one cut off at the end is left out."""
     if not text or len(text) < 25:
         return []
-    text = _LABEL.sub("", text)
-    cut = _CUT.search(text)
-    parts = [p for p in _SENTENCE.split((text[: cut.start()] if cut else text).strip()) if p]
+    text = _LABEL.sub("", text).rstrip()
+    end = text[-24:]
+    cut = _CUT.search(end) if end[-1:] in ".…])" else None
+    parts = [p for p in _SENTENCE.split((text[: len(text) - len(end) + cut.start()] if cut else text).strip()) if p]
     if parts and (cut or parts[-1][-1] not in ".!?"):
         parts.pop()
     return [" ".join(p.lower().split()) for p in parts]
@@ -150,4 +151,7 @@ _NOBODY = frozenset("anonymous|anon|unknown|n a|na|no authors listed|no author|n
 
 def is_nobody(name: str | None) -> bool:
     """Whether a name stands for an absent author."""
-    return not name or " ".join(words_of(name)) in _NOBODY or not words_of(name)
+    if not name or len(name) > 40:
+        return not name
+    words = words_of(name)
+    return not words or " ".join(words) in _NOBODY
