@@ -107,7 +107,7 @@ def resolve(links: DataFrame) -> DataFrame:
         above = done.select(*(F.col(c).alias(f"a_{c}") for c in done.columns))
         child = done.select(F.col("node").alias("c_node"), F.col("on_cycle").alias("c_on"))
         on = F.coalesce("c_on", F.lit(False))
-        back = (
+        back = stored(
             taken.join(above, F.col("up") == F.col("a_node"))
             .join(child, F.col("below") == F.col("c_node"), "left")
             .select(
@@ -120,6 +120,7 @@ def resolve(links: DataFrame) -> DataFrame:
                 F.when(on, F.slice("labels", -1, 1)).otherwise(F.concat("a_path_labels", "labels")).alias("path_labels"),
             )
         )
+        # written out, as the next round reads it twice and its plan would double with every round
         done = done.unionByName(back)
         if k % _ROUNDS_PER_CUT == _ROUNDS_PER_CUT - 1:
             done = stored(done)
