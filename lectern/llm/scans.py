@@ -62,6 +62,19 @@ _HEAD_LINE = re.compile(
 )
 
 
+_BREAK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?:-\s+|[‐\xad¬]\s*)(?=[a-zà-öø-ÿ])")
+_LEFT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?:-[A-Za-zÀ-ÖØ-öø-ÿ]+)*$")
+_RIGHT = re.compile(r"[a-zà-öø-ÿ]+")
+_NEAR_SIGN = re.compile(r"[a-z][0-9@€!|$(]|[0-9@€!|$][a-z]{2}")
+_LOWER = re.compile(r"\b[a-zà-öø-ÿ]{2,}\b")
+_CJK = re.compile(r"[぀-鿿]")
+
+
+def _may_be_head(line: str) -> bool:
+    """A cheap test that every line of a running head's form passes."""
+    return len(line) < 130 and (line.isupper() or " et al" in line or "Vol." in line or "•" in line or " AND C" in line or "|" in line or line.rstrip("0123456789 ").endswith(")"))
+
+
 def form_of(text: str) -> str:
     """A line's form: C for capitals, W for a capitalised word, w for others, # for a number, runs as one."""
     out: list[str] = []
@@ -187,22 +200,26 @@ def _row(pk, doc, page, n, kind, text, known: dict[str, int]) -> tuple:
         short, norm, form = bare, re.sub(r"\d+", "#", bare.lower()), form_of(bare)
         found = _NUMBER.match(bare)
         number = int(found.group(1).translate(_DIGITS)) if found else None
-    torn = False
-    soft = any(m in text for m in "\xad¬‐")
-    if soft or "- " in text or "-\n" in text or "-\t" in text:
-        torn = any(_torn(m[1], m[2][0], m[3], known) for m in _TORN.finditer(text))
+    torn, whole = False, text
+    if "-" in text or not text.isascii():
+        for m in _BREAK.finditer(text):
+            left, right = _LEFT.search(text[max(0, m.start() - 60) : m.start()]), _RIGHT.match(text, m.end())
+            if left and right and _torn(left[0], m[0][0], right[0], known):
+                torn = True
+                break
         whole = _SOFT.sub("", text)
-    else:
-        whole = text
-    signed = any(_read_signs(m[0], known) for m in _SIGNED.finditer(whole)) if re.search(r"[0-9@€!|$(]", whole) else False
-    rare = {w for w in _WORD.findall(whole.lower()) if w not in known and len(w) > 2} if bare else set()
-    rare = {p for w in rare for p in (w.split("-") if "-" in w else (w,)) if p not in known and 2 < len(p) < 40}
-    end = _END.search(text)
+    signed = bool(_NEAR_SIGN.search(whole)) and any(_read_signs(m[0], known) for m in _SIGNED.finditer(whole))
+    rare = {p for w in set(_WORD.findall(whole.lower())) if w not in known and len(w) > 2 for p in (w.split("-") if "-" in w else (w,)) if p not in known and 2 < len(p) < 40}
+    tail = text[-60:].rstrip()
+    end = _END.search(tail) if tail[-1:] and tail[-1] in _MARKS else None
     first = _FIRST.match(text)
-    words = len(re.findall(r"\b[a-zà-öø-ÿ]{2,}\b", bare)) if len(bare) < 400 else 9
-    cjk = len(re.findall(r"[぀-鿿]", bare[:60]))
-    running = bool(bare) and (words >= 2 or cjk >= 6 or (words >= 1 and bare[0].islower()) or (bare[-1] in ".。" and words >= 1)) and not _CAPTION.match(bare)
-    heads = [_head_key(line) for line in text.split("\n") if len(line) < 130 and _HEAD_LINE.match(line)] if "\n" in bare else []
+    if len(bare) > 200:
+        running = True
+    else:
+        words = len(_LOWER.findall(bare))
+        cjk = 0 if bare.isascii() else len(_CJK.findall(bare[:60]))
+        running = bool(bare) and (words >= 2 or cjk >= 6 or (words >= 1 and bare[0].islower()) or (bare[-1] in ".。" and words >= 1)) and not _CAPTION.match(bare)
+    heads = [_head_key(line) for line in text.split("\n") if _may_be_head(line) and _HEAD_LINE.match(line)] if "\n" in bare else []
     return (
         pk, doc, page, n, kind, short, norm, form, number, running, bool(bare) and bare[-1] not in _CLOSED,
         end[1] if end else None, end[2] if end else None, first[1] if first else None, torn, signed, "|".join(sorted(rare)), "|".join(h for h in heads if h),
@@ -365,7 +382,7 @@ def paragraphs(elements: DataFrame, noise: ScanNoise) -> DataFrame:
 
 def _clean(text: str, fixes: str | None, torn_end: bool | None, known: dict[str, int]) -> str:
     if "\n" in text:
-        text = "\n".join(line for line in text.split("\n") if len(line) >= 130 or not _HEAD_LINE.match(line))
+        text = "\n".join(line for line in text.split("\n") if not (_may_be_head(line) and _HEAD_LINE.match(line)))
     text = _TORN.sub(lambda m: m[1] + m[3] if _torn(m[1], m[2][0], m[3], known) else m[1] + "-" + m[3], text)
     text = _SIGNED.sub(lambda m: _as_written(m[0], _read_signs(m[0], known) or m[0]), text)
     for fix in (fixes or "").split("|"):
