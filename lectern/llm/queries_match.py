@@ -46,7 +46,7 @@ def item_records(spark: SparkSession, root: str) -> DataFrame:
         none.alias("preprint"),
         F.col("publication").alias("venue"),
     )
-    return rows.dropDuplicates(["rid"])
+    return rows.distinct()  # repeated rows are alike in everything
 
 
 def _id(rid: Column) -> Column:
@@ -65,7 +65,7 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     of = works(records, scored, options)
     items = of.where(F.col("rid") % 2 == ITEM).select(F.col("rid").alias("i"), "work")
     papers = of.where(F.col("rid") % 2 == PAPER).select(F.col("rid").alias("p"), "work")
-    return items.join(papers, "work").select(_id(F.col("i")).alias("item_id"), _id(F.col("p")).alias("paper_id"))
+    return items.join(papers, "work").select(_id(F.col("i")).alias("item_id"), _id(F.col("p")).alias("paper_id")).distinct()
 
 
 def p6_confidence(spark: SparkSession, root: str) -> DataFrame:

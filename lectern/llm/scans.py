@@ -232,7 +232,7 @@ _FIXED_TYPES = ("title", "authors", "abstract_heading", "reference")
 def _furniture(light: DataFrame, options: ScanOptions) -> DataFrame:
     """light with edge ranks and ``furniture``."""
     page = Window.partitionBy("doc_key", "page")
-    ranked = light.withColumn("from_top", F.row_number().over(page.orderBy("n", "elem_pk"))).withColumn("from_end", F.row_number().over(page.orderBy(F.desc("n"), F.desc("elem_pk"))))
+    ranked = light.withColumn("from_top", F.row_number().over(page.orderBy("n", "elem_pk"))).withColumn("from_end", F.count("*").over(page) - F.col("from_top") + 1)
     at_edge = (F.col("from_top") == 1) | (F.col("from_end") == 1)
     near = (F.col("from_top") <= 2) | (F.col("from_end") <= 2)
     ranked = stored(ranked.withColumn("edge", at_edge).withColumn("near", near))
