@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import hierarchy
+from lectern.plans import functions, hierarchy, relational
 
-_MODULES = (hierarchy,)
+_MODULES = (functions, hierarchy, relational)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
