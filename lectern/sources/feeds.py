@@ -17,8 +17,9 @@ def _short_list(names: Column) -> Column:
 
 def read_json_store(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good, corrupt) rows of JSON documents; a corrupt one is kept as text, never lost."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt is null").drop("_corrupt"), spark.read.text(path).join(rows.where("_corrupt is not null").select(F.col("_corrupt").alias("value")), "value", "left_semi")
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).where("trim(value) <> ''").withColumn("row", parsed)
+    return rows.where("row._corrupt is null").select("row.*").drop("_corrupt"), rows.where("row._corrupt is not null").select("value")
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
