@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import documents, functions, hierarchy, relational
+from lectern.plans import documents, functions, hierarchy, layout, relational
 
-_MODULES = (documents, functions, hierarchy, relational)
+_MODULES = (documents, functions, hierarchy, layout, relational)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
