@@ -201,7 +201,7 @@ def _row(pk, doc, page, n, kind, text, known: dict[str, int]) -> tuple:
         found = _NUMBER.match(bare)
         number = int(found.group(1).translate(_DIGITS)) if found else None
     torn, whole = False, text
-    if "-" in text or not text.isascii():
+    if ("-" in text or not text.isascii()) and _BREAK.search(text):
         for m in _BREAK.finditer(text):
             left, right = _LEFT.search(text[max(0, m.start() - 60) : m.start()]), _RIGHT.match(text, m.end())
             if left and right and _torn(left[0], m[0][0], right[0], known):
@@ -209,7 +209,7 @@ def _row(pk, doc, page, n, kind, text, known: dict[str, int]) -> tuple:
                 break
         whole = _SOFT.sub("", text)
     signed = bool(_NEAR_SIGN.search(whole)) and any(_read_signs(m[0], known) for m in _SIGNED.finditer(whole))
-    rare = {p for w in set(_WORD.findall(whole.lower())) if w not in known and len(w) > 2 for p in (w.split("-") if "-" in w else (w,)) if p not in known and 2 < len(p) < 40}
+    rare = {p for w in set(_WORD.findall(whole.lower())).difference(known) if len(w) > 2 for p in (w.split("-") if "-" in w else (w,)) if p not in known and 2 < len(p) < 40}
     tail = text[-60:].rstrip()
     end = _END.search(tail) if tail[-1:] and tail[-1] in _MARKS else None
     first = _FIRST.match(text)
@@ -230,13 +230,14 @@ _FIXED_TYPES = ("title", "authors", "abstract_heading", "reference")
 
 
 def _furniture(light: DataFrame, options: ScanOptions) -> DataFrame:
-    """light with edge ranks and ``furniture``."""
+    """light with ``furniture``."""
     page = Window.partitionBy("doc_key", "page")
-    ranked = light.withColumn("from_top", F.row_number().over(page.orderBy("n", "elem_pk"))).withColumn("from_end", F.count("*").over(page) - F.col("from_top") + 1)
+    # only short lines are looked at, but every element counts for the ranks
+    places = light.select("elem_pk", "doc_key", "page", "n", "type", "short", "norm", "form", "number")
+    ranked = places.withColumn("from_top", F.row_number().over(page.orderBy("n", "elem_pk"))).withColumn("from_end", F.count("*").over(page) - F.col("from_top") + 1)
     at_edge = (F.col("from_top") == 1) | (F.col("from_end") == 1)
     near = (F.col("from_top") <= 2) | (F.col("from_end") <= 2)
-    ranked = stored(ranked.withColumn("edge", at_edge).withColumn("near", near))
-    lines = ranked.where(F.col("short").isNotNull() & ~F.coalesce("type", F.lit("")).isin(*_FIXED_TYPES))
+    lines = stored(ranked.where(F.col("short").isNotNull() & ~F.coalesce("type", F.lit("")).isin(*_FIXED_TYPES)).withColumn("edge", at_edge).withColumn("near", near))
     # a line counts as at the edge when nothing but another such line lies beyond it
     per_doc = lines.groupBy("norm", "doc_key").agg(F.count("*").alias("c"), F.countDistinct("page").alias("pages"), F.sum(F.col("edge").cast("int")).alias("e"))
     per_line = per_doc.groupBy("norm").agg(F.count("*").alias("docs"), F.sum("c").alias("all"), F.sum("e").alias("edges"))
@@ -271,7 +272,7 @@ def _furniture(light: DataFrame, options: ScanOptions) -> DataFrame:
     open_ = judged.where(F.col("near") & ~F.col("is") & (F.length("norm") >= 8))
     slips = marks(open_.withColumn("pair", F.struct("elem_pk", "norm")), "pair").join(marks(sure, "line"), ["doc_key", "mark"]).where(F.levenshtein(F.col("pair.norm"), F.col("line"), 3) >= 0)
     found = judged.where("is").select("elem_pk").union(slips.select("pair.elem_pk")).distinct().withColumn("furniture", F.lit(True))
-    return ranked.join(found, "elem_pk", "left").withColumn("furniture", F.coalesce("furniture", F.lit(False)))
+    return light.join(found, "elem_pk", "left").withColumn("furniture", F.coalesce("furniture", F.lit(False)))
 
 
 @dataclass
