@@ -234,10 +234,11 @@ def _furniture(light: DataFrame, options: ScanOptions) -> DataFrame:
     page = Window.partitionBy("doc_key", "page")
     # only short lines are looked at, but every element counts for the ranks
     places = light.select("elem_pk", "doc_key", "page", "n", "type", "short", "norm", "form", "number")
-    ranked = places.withColumn("from_top", F.row_number().over(page.orderBy("n", "elem_pk"))).withColumn("from_end", F.count("*").over(page) - F.col("from_top") + 1)
+    # dense ranks, so that repeated rows share theirs
+    ranked = places.withColumn("from_top", F.dense_rank().over(page.orderBy("n", "elem_pk"))).withColumn("from_end", F.max("from_top").over(page) - F.col("from_top") + 1)
     at_edge = (F.col("from_top") == 1) | (F.col("from_end") == 1)
     near = (F.col("from_top") <= 2) | (F.col("from_end") <= 2)
-    lines = stored(ranked.where(F.col("short").isNotNull() & ~F.coalesce("type", F.lit("")).isin(*_FIXED_TYPES)).withColumn("edge", at_edge).withColumn("near", near))
+    lines = stored(ranked.where(F.col("short").isNotNull() & ~F.coalesce("type", F.lit("")).isin(*_FIXED_TYPES)).withColumn("edge", at_edge).withColumn("near", near).distinct())
     # a line counts as at the edge when nothing but another such line lies beyond it
     per_doc = lines.groupBy("norm", "doc_key").agg(F.count("*").alias("c"), F.countDistinct("page").alias("pages"), F.sum(F.col("edge").cast("int")).alias("e"))
     per_line = per_doc.groupBy("norm").agg(F.count("*").alias("docs"), F.sum("c").alias("all"), F.sum("e").alias("edges"))
@@ -301,7 +302,7 @@ def find_noise(elements: DataFrame, options: ScanOptions = ScanOptions()) -> Sca
     # at most 1 / share words
     trusted = vocabulary.where(F.col("n") >= least).join(pairs.select("word"), "word", "left_anti")
     known = {r.word: r.n for r in trusted.select("word", "n").collect()}
-    light = stored(_furniture(stored(_features(elements, known)).distinct(), options))
+    light = stored(_furniture(stored(_features(elements, known)), options))
     rest = light.where(~F.col("furniture"))
     misread = (
         rest.where("rare <> ''").select("elem_pk", F.explode(F.split("rare", r"\|")).alias("word")).join(pairs.select("word", "meant"), "word").select("elem_pk", "word", "meant").distinct()
@@ -320,7 +321,8 @@ def find_noise(elements: DataFrame, options: ScanOptions = ScanOptions()) -> Sca
     )
     # an element that ends in a mark within its page goes on in the next one there
     order = Window.partitionBy("doc_key", "page").orderBy("n", "elem_pk")
-    within = body.withColumn("next_word", F.lead("first").over(order)).where("frag is not null and next_word is not null").select("elem_pk", "frag", "mark", "next_word")
+    after = Window.partitionBy("doc_key", "page").orderBy("r").rangeBetween(1, 1)  # repeated rows have one rank
+    within = body.withColumn("r", F.dense_rank().over(order)).withColumn("next_word", F.first("first").over(after)).where("frag is not null and next_word is not null").select("elem_pk", "frag", "mark", "next_word")
     torn = _torn_ends(seams.where("frag is not null and next_word is not null").select("elem_pk", "frag", "mark", "next_word").union(within), vocabulary)
     return ScanNoise(light, misread, torn, embedded, seams.select("elem_pk", "next_pk"), known)
 
@@ -363,7 +365,7 @@ def paragraphs(elements: DataFrame, noise: ScanNoise) -> DataFrame:
     fixes = noise.misread.groupBy("elem_pk").agg(F.concat_ws("|", F.collect_set(F.concat_ws("=", "word", "meant"))).alias("fixes"))  # a text's own words
     torn = noise.torn_ends.withColumn("torn_end", F.lit(True))
     kept = noise.light.where(~F.col("furniture") & (F.coalesce("type", F.lit("")) != "equation")).select("elem_pk", "page", "n").join(fixes, "elem_pk", "left").join(torn, "elem_pk", "left")
-    texts = elements.where("text <> ''").select("elem_pk", "doc_key", "text").distinct().join(kept, "elem_pk")
+    texts = elements.where("text <> ''").select("elem_pk", "doc_key", "text").distinct().join(kept.distinct(), "elem_pk")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known.value
