@@ -118,6 +118,24 @@ def test_matching(spark):
     assert M.works(empty, M.match(empty)).count() == 0
 
 
+def _candidates(spark, rows):
+    records = M.prepare(spark.createDataFrame(_records(rows), _SCHEMA))
+    return {(r.a, r.b) for r in M.candidates(records, M.MatchOptions()).collect()}
+
+
+def test_slips_meet_across_years_whatever_the_size(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghiklmnoprstuvz") for _ in range(9)) for _ in range(24)]
+    rows = [{"title": " ".join(rnd.sample(words, 6)), "year": str(1990 + k % 9)} for k in range(120)]
+    pairs = set()
+    for k in range(0, 120, 4):
+        t = rows[k]["title"].split()
+        t[rnd.randrange(6)] += "x"
+        pairs.add((k, len(rows)))
+        rows.append({"title": " ".join(t), "year": (None, str(2005 + k % 3))[k % 8 > 0]})
+    assert pairs - _candidates(spark, rows) == set()
+
+
 def test_kinds():
     assert X.kind_of(X.words_of("Correction to: A b"), False)[0] == "correction:/"
     assert X.kind_of(X.words_of("A b. Part II"), False) == (":ii/", ["a", "b"])
