@@ -136,6 +136,27 @@ def test_slips_meet_across_years_whatever_the_size(spark):
     assert pairs - _candidates(spark, rows) == set()
 
 
+def test_large_blocks_lose_nothing(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghiklmnoprstuvz") for _ in range(9)) for _ in range(90)]
+    title = words[:6]
+    rows = []
+    for k in range(70):  # forms of one work: other years or none, titles damaged at any place
+        t = title.copy()
+        t[k % 6] = rnd.choice("abcdefgh") + t[k % 6][1:] + "y" * (k % 4)
+        rows.append({"title": " ".join(t), "doi": "10.1234/ab1", "year": (None, "2001", "2004")[k % 3]})
+    rows += [rows[3]] * 50
+    # a block of chance: two shared words, the rest differs but for pairs of years apart
+    chance = [{"title": " ".join([words[10], words[11], *rnd.sample(words[12:], 5)]), "year": str(1980 + k)} for k in range(60)]
+    first = len(rows)
+    rows += chance + [c | {"year": None, "title": c["title"] + "s"} for c in chance]
+    found = _candidates(spark, rows)
+    least = [rows.index(r) for r in rows[:first]]  # rows alike in everything are tied to the least of them
+    assert set(itertools.combinations(sorted(set(least)), 2)) - found == set()
+    assert {(a, b) for b, a in enumerate(least) if a < b} - found == set()
+    assert {(first + k, first + 60 + k) for k in range(60)} - found == set()
+
+
 def test_kinds():
     assert X.kind_of(X.words_of("Correction to: A b"), False)[0] == "correction:/"
     assert X.kind_of(X.words_of("A b. Part II"), False) == (":ii/", ["a", "b"])
