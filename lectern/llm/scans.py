@@ -35,12 +35,14 @@ _MARKS = "-‐\xad¬"
 class ScanOptions:
     """share: a word with at least this share of all words (and ``least`` occurrences) is frequent, so there are at
     most 1 / share frequent words and they fit any memory. ratio: times that a frequent word must outnumber a
-    rare one that may be a misreading of it. edge: least part of a line's or form's occurrences at edges."""
+    rare one that may be a misreading of it. own: a word with this share of all words is one by itself (with ten
+    occurrences, below which its share isn't known), so it must be outnumbered by often times. edge: least part of a line's or form's occurrences at edges."""
 
     share: float = 2e-6
     least: int = 4
     ratio: float = 8.0
     often: float = 60.0
+    own: float = 1e-4
     edge: float = 0.9
 
 
@@ -128,7 +130,8 @@ def misread_words(vocabulary: DataFrame, options: ScanOptions) -> DataFrame:
     tried = words.select("word", "n", "hash", F.explode(F.filter(table, lambda r: F.contains(F.col("word"), r["read"]))).alias("r")).select(
         "word", "n", "r.read", "r.meant", (F.col("hash") + F.col("r.d")).alias("key")
     )
-    met = tried.join(frequent, "key").where((F.col("to_n") >= F.when(F.col("n") < 10, options.ratio).when(F.length("word") < 5, 3 * options.often).otherwise(options.often) * F.col("n")) & (F.length("to") == F.length("word") - F.length("read") + F.length("meant")))
+    own = max(10.0, options.own * (vocabulary.agg(F.sum("n")).first()[0] or 0))
+    met = tried.join(frequent, "key").where((F.col("to_n") >= F.when(F.col("n") < own, options.ratio * F.col("n")).when(F.length("word") < 5, 3 * options.often * F.col("n")).otherwise(options.often * F.col("n"))) & (F.length("to") == F.length("word") - F.length("read") + F.length("meant")))
     # equal hashes are anagrams at best: the confusion must stand at one place
     at = F.exists(
         F.sequence(F.lit(1), F.length("word")),

@@ -210,6 +210,16 @@ def test_scans(spark):
     assert C.defects(none).count() == 0 and C.paragraphs(df.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_misread_words_at_any_size(spark, times):
+    counts = {"boundary": 600, "boiindary": 12, "subnetry": 90, "subrnetry": 2, "and": 29800, "arid": 700, "other": 970_000, "acidic": 610, "aciclic": 11}
+    rows = [(w, n * times, sum(ord(c) ** 5 for c in w)) for w, n in counts.items()] + [("submetry", 90 * times, sum(ord(c) ** 5 for c in "submetry"))]
+    df = spark.createDataFrame(rows, "word string, n long, hash long")
+    got = {r.word: r.meant for r in C.misread_words(df, C.ScanOptions()).collect()}
+    assert got == {"boiindary": "boundary", "subrnetry": "submetry", "aciclic": "acidic"}
+    assert C.misread_words(df.limit(0), C.ScanOptions()).count() == 0
+
+
 def test_packing_is_whole_and_within_limits():
     rnd = np.random.default_rng(3)
     tokens = rnd.integers(0, 500, 700)
