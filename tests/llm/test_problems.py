@@ -79,6 +79,21 @@ def test_name_groups(spark):
     assert N.name_groups(df.limit(0)).count() == 0
 
 
+def test_every_slip_in_a_family_name_is_a_pair(spark):
+    rnd = random.Random(7)
+    names, want = set(), set()
+    for size in range(3, 9):
+        for _ in range(12):
+            name = "".join(rnd.choice("abcdefghiklmnoprstuvz") for _ in range(size))
+            k = rnd.randrange(size)
+            other = [name[:k] + "x" + name[k + 1 :], name[:k] + "x" + name[k:], name[: k - 1] + name[k] + name[k - 1] + name[k + 1 :] if k else name, name[:k] + name[k + 1 :] if size > 3 else name]
+            names |= {name, *other}
+            want |= {p for o in other if o != name for p in ((name, o), (o, name))}
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "t string")
+    found = {(r.a, r.b) for r in N.similar_names(df, N.NameOptions()).collect()}
+    assert want - found == set()
+
+
 def test_average_linkage_parts_a_shared_initial():
     got = N._linkage([(1, 3, 0.85), (2, 3, 0.85)], {1: 9, 2: 1, 3: 1}, 0.5)
     assert got[1] == got[3] != got[2]
