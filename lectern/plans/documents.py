@@ -148,9 +148,17 @@ def m_tumbling_windows(spark, root):
 _RIS = "concat_ws(chr(10), 'TY  - JOUR', 'TI  - ' || coalesce(title, ''), 'PY  - ' || nullif(pub_year, ''), 'JO  - ' || nullif(journal, ''), 'AB  - ' || nullif(abstract, ''), 'DO  - ' || nullif(doi, ''), 'UR  - ' || nullif(url, ''), 'ID  - ' || nullif(pmid, ''), 'ER  - ')"
 
 
-@_query(f"SELECT paper_id, {_RIS} AS block FROM external_papers WHERE coalesce(authors, '') = ''")
+@_query()
 def k3_ris_blocks(spark, root):
-    """Tagged export blocks; here of papers without authors, whose tags are the same in SQL."""
+    """Tagged export blocks of all papers."""
+    from lectern.sources.exports import ris_block
+
+    return table(spark, root, "external_papers").select("paper_id", ris_block().alias("block"))
+
+
+@_query(f"SELECT paper_id, {_RIS} AS block FROM external_papers WHERE coalesce(authors, '') = ''")
+def k3_ris_without_authors(spark, root):
+    """Tagged export blocks of papers without authors, whose tags are the same in SQL."""
     from lectern.sources.exports import ris_block
 
     return table(spark, root, "external_papers").where(T.text("authors") == "").select("paper_id", ris_block().alias("block"))

@@ -110,6 +110,28 @@ def test_exports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).collect()[0].doi == "10.1/x"
 
 
+def test_ris_blocks_of_all_papers_against_brute_force(spark, tmp_path):
+    from lectern.plans.documents import QUERIES
+
+    fields = ("paper_id", "title", "authors", "pub_year", "journal", "abstract", "doi", "url", "pmid")
+    people = [None, "", "Li X", "Smith JA, O'Neil Mary K, et al.", "WHO Group, et al", "Plato", " , Ng A B,,Ota C D E", "Čapek K, 王 X"]
+    rows = [(k, (f"T{k}", None, "")[k % 3], a, ("2001", "", None)[k % 3], None, "A. B." if k % 2 else "", f"10.1/{k}", "u", None) for k, a in enumerate(people)]
+    spark.createDataFrame(rows, "paper_id long, " + ", ".join(f"{f} string" for f in fields[1:])).write.parquet(str(tmp_path / "external_papers.parquet"))
+
+    def author(part):
+        family, *rest = part.split()
+        return f"{family}, {' '.join(w + '.' if all(len(x) == 1 for x in rest) else w for w in rest)}" if rest else part
+
+    want = {}
+    for row in rows:
+        r = dict(zip(fields, row))
+        parts = [p.strip() for p in (r["authors"] or "").split(",")]
+        lines = ["TY  - JOUR", f"TI  - {r['title'] or ''}"] + [f"AU  - {author(p)}" for p in parts if p and p.lower().rstrip(".") != "et al"]
+        lines += [f"{t}  - {r[c]}" for t, c in (("PY", "pub_year"), ("JO", "journal"), ("AB", "abstract"), ("DO", "doi"), ("UR", "url"), ("ID", "pmid")) if r[c]]
+        want[r["paper_id"]] = "\n".join([*lines, "ER  - "])
+    assert {r.paper_id: r.block for r in QUERIES["k3_ris_blocks"](spark, str(tmp_path)).collect()} == want
+
+
 def test_streams(spark, tmp_path):
     schema = "paper_id long, doi string, pmid string, arxiv_id string, title string"
     src, seen, feed = (str(tmp_path / n) for n in ("src", "seen", "feed"))
