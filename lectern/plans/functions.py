@@ -50,23 +50,23 @@ _add("f1_normalize_doi", P, ("paper_id",), lambda: {"doi_key": T.normalize_doi("
 _add("f2_normalize_title", P, ("paper_id",), lambda: {"title_key": T.normalize_title("title")}, f"{sql_title('title')} AS title_key")
 _add("f3_normalize_journal", P, ("paper_id",), lambda: {"journal_key": T.normalize_journal("journal")}, r"trim(regexp_replace(lower(coalesce(journal, '')), '\s+', ' ', 'g')) AS journal_key")
 _add("u2_identity_key", P, ("paper_id",), lambda: {"identity": T.paper_key(col("doi"), col("pmid"), col("arxiv_id"), col("title"))}, f"{sql_key()} AS identity")
-_add("p3_year_extraction", P, ("paper_id",), lambda: {"year4": T.year_of("pub_year")}, r"regexp_extract(coalesce(pub_year, ''), '(\d{4})', 1) AS year4")
+_add("pred_03_year_extraction", P, ("paper_id",), lambda: {"year4": T.year_of("pub_year")}, r"regexp_extract(coalesce(pub_year, ''), '(\d{4})', 1) AS year4")
 _add(
-    "p4_default_title", Z, ("item_id",), lambda: {"shown_title": F.when(F.trim(T.text("title")) == "", F.concat(F.lit("Untitled "), "item_key")).otherwise(col("title"))},
+    "pred_04_default_title", Z, ("item_id",), lambda: {"shown_title": F.when(F.trim(T.text("title")) == "", F.concat(F.lit("Untitled "), "item_key")).otherwise(col("title"))},
     "CASE WHEN trim(coalesce(title, '')) = '' THEN 'Untitled ' || item_key ELSE title END AS shown_title",
 )
-_add("p5_year_range", P, ("paper_id",), lambda: {"allowed": ~T.text("pub_year").rlike(r"^\d+$") | F.expr("try_cast(pub_year AS int)").between(2005, 2015)}, r"NOT regexp_matches(coalesce(pub_year, ''), '^\d+$') OR coalesce(try_cast(pub_year AS INT) BETWEEN 2005 AND 2015, false) AS allowed")
-_add("p12_url", P, ("paper_id",), lambda: {"valid_url": T.is_url("url")}, r"regexp_matches(coalesce(url, ''), '^https?://\S+$') AS valid_url")
+_add("pred_05_year_range", P, ("paper_id",), lambda: {"allowed": ~T.text("pub_year").rlike(r"^\d+$") | F.expr("try_cast(pub_year AS int)").between(2005, 2015)}, r"NOT regexp_matches(coalesce(pub_year, ''), '^\d+$') OR coalesce(try_cast(pub_year AS INT) BETWEEN 2005 AND 2015, false) AS allowed")
+_add("pred_12_url", P, ("paper_id",), lambda: {"valid_url": T.is_url("url")}, r"regexp_matches(coalesce(url, ''), '^https?://\S+$') AS valid_url")
 _add(
-    "p13_profile_name", "zotero_collections", ("collection_id", "synced_at"), lambda: {"usable": T.is_profile_name("coll_name")},
+    "pred_13_profile_name", "zotero_collections", ("collection_id", "synced_at"), lambda: {"usable": T.is_profile_name("coll_name")},
     r"""coalesce(coll_name <> '' AND trim(coll_name) = coll_name AND NOT regexp_matches(coll_name, '[\\/:*?"<>|\x00-\x1f]') AND NOT suffix(coll_name, '.')
     AND NOT regexp_matches(coll_name, '^(?i)(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\..*)?$') AND length(coll_name) <= 80, false) AS usable""",
 )
 _add(
-    "p14_safe_path", "pdf_texts", ("pdf_id",), lambda: {"safe": T.is_safe_path("pdf_path")},
+    "pred_14_safe_path", "pdf_texts", ("pdf_id",), lambda: {"safe": T.is_safe_path("pdf_path")},
     r"coalesce(pdf_path <> '' AND len(list_filter(string_split(replace(pdf_path, '\', '/'), '/'), lambda p: p IN ('', '.', '..') OR contains(p, ':'))) = 0, false) AS safe",
 )
-_add("p18_english", "documents", ("doc_id",), lambda: {"english": T.english_share("text") > 0.5}, r"CASE WHEN length(regexp_replace(coalesce(text, ''), '[^\p{L}]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0.5 ELSE false END AS english")
+_add("pred_18_english", "documents", ("doc_id",), lambda: {"english": T.english_share("text") > 0.5}, r"CASE WHEN length(regexp_replace(coalesce(text, ''), '[^\p{L}]', '', 'g')) > 0 THEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g')) > 0.5 ELSE false END AS english")
 _add(
     "f4_tokenize", P, ("paper_id",), lambda: {"n_tokens": F.size(T.tokens("title")), "token_line": F.array_join(T.tokens("title"), " ")},
     r"""len(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9][a-z0-9\-_]+')) AS n_tokens, array_to_string(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9][a-z0-9\-_]+'), ' ') AS token_line""",

@@ -56,7 +56,7 @@ def j5_ancestor_closure(spark, root):
 
 
 @_query(f"SELECT item_id FROM ({ORACLES['j5_ancestor_closure']}) WHERE ancestor_id = 2")
-def p9_collection_members(spark, root):
+def pred_09_collection_members(spark, root):
     """Items in one collection or below it."""
     return j5_ancestor_closure(spark, root).where("ancestor_id = 2").select("item_id")
 

@@ -66,20 +66,20 @@ def s11_pages_without_text(spark, root):
 
 
 @_query(f"SELECT item_id, item_type FROM {_ITEMS} WHERE lower(trim(coalesce(item_type, ''))) NOT IN ('attachment', 'note', 'annotation')")
-def p1_item_types(spark, root):
+def pred_01_item_types(spark, root):
     """Items that are neither attachments, notes nor annotations."""
     return items(spark, root).where(~F.lower(F.trim(T.text("item_type"))).isin("attachment", "note", "annotation")).select("item_id", "item_type")
 
 
 @_query(f"SELECT item_id, pdf_path FROM {_ITEMS} WHERE pdf_path ILIKE '%.pdf'")
-def p2_pdf_attachments(spark, root):
+def pred_02_pdf_attachments(spark, root):
     """Items with a PDF, whatever the case of its ending."""
     return items(spark, root).where(col("pdf_path").ilike("%.pdf")).select("item_id", "pdf_path")
 
 
 @_query(r"""WITH b AS (SELECT min(y) AS lo, max(y) AS hi FROM (SELECT try_cast(pub_year AS INT) AS y FROM zotero_items) WHERE y BETWEEN 2000 AND 2020)
 SELECT paper_id, source FROM external_papers, b WHERE source <> 'arxiv' OR NOT regexp_matches(coalesce(pub_year, ''), '^\d+$') OR try_cast(pub_year AS INT) BETWEEN lo AND hi""")
-def p6_residual_years(spark, root):
+def pred_06_residual_years(spark, root):
     """For one source only, the years that all bounds together allow; papers without a year stay."""
     bounds = table(spark, root, "zotero_items").select(F.expr("try_cast(pub_year AS int)").alias("y")).where("y between 2000 and 2020").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     y = F.expr("try_cast(pub_year AS int)")
@@ -91,7 +91,7 @@ _BLACK = f"(SELECT {sql_doi('doi')} AS d, {sql_title('title')} AS t FROM zotero_
 
 
 @_query(f"SELECT paper_id FROM external_papers WHERE NOT ({sql_doi('doi')} <> '' AND {sql_doi('doi')} IN (SELECT d FROM {_BLACK})) AND NOT ({sql_title('title')} <> '' AND {sql_title('title')} IN (SELECT t FROM {_BLACK}))")
-def p7_blacklist(spark, root):
+def pred_07_blacklist(spark, root):
     """Papers that no blacklisted item matches by DOI or by title (the list: every eleventh item)."""
     black = table(spark, root, "zotero_items").where("item_id % 11 = 0").select(T.key(T.normalize_doi("doi")).alias("d"), T.key(T.normalize_title("title")).alias("t"))
     papers = table(spark, root, "external_papers").select("paper_id", T.key(T.normalize_doi("doi")).alias("d"), T.key(T.normalize_title("title")).alias("t"))
@@ -102,28 +102,28 @@ _WORDS = ("lipid", "cortical", "volcanic")
 
 
 @_query("SELECT paper_id FROM external_papers WHERE " + " OR ".join(f"contains(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '{w}')" for w in _WORDS))
-def p8_keywords(spark, root):
+def pred_08_keywords(spark, root):
     """Papers in whose title or abstract one of the keywords stands, whatever its case."""
     said = F.lower(F.concat_ws(" ", T.text("title"), T.text("abstract")))
     return table(spark, root, "external_papers").where(F.exists(F.array(*map(F.lit, _WORDS)), lambda w: F.contains(said, w))).select("paper_id")
 
 
 @_query("SELECT paper_id, CASE WHEN source IN ('pubmed', 'arxiv') THEN source ELSE 'pubmed' END AS plan_source, CASE WHEN try_cast(pub_year AS INT) BETWEEN 1900 AND 2100 THEN try_cast(pub_year AS INT) END AS year_from FROM external_papers WHERE trim(coalesce(title, '')) <> ''")
-def p10_plan_validation(spark, root):
+def pred_10_plan_validation(spark, root):
     """Search plans: blank ones dropped, unknown sources replaced, years out of range null."""
     y = F.expr("try_cast(pub_year AS int)")
     return table(spark, root, "external_papers").where(F.trim(T.text("title")) != "").select("paper_id", F.when(col("source").isin("pubmed", "arxiv"), col("source")).otherwise("pubmed").alias("plan_source"), F.when(y.between(1900, 2100), y).alias("year_from"))
 
 
 @_query("SELECT paper_id FROM (SELECT paper_id, source, row_number() OVER (PARTITION BY source ORDER BY paper_id) AS pos FROM external_papers) WHERE pos NOT IN (SELECT supp FROM (SELECT s_suppkey AS supp FROM supplier))")
-def p11_off_topic_positions(spark, root):
+def pred_11_off_topic_positions(spark, root):
     """Results whose 1-based position per source was not called off topic (positions from the supplier keys)."""
     ranked = table(spark, root, "external_papers").withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("paper_id")).cast("long"))
     return ranked.join(table(spark, root, "supplier").select(col("s_suppkey").alias("pos")), "pos", "left_anti").select("paper_id")
 
 
 @_query("SELECT c_custkey AS topic_id FROM (SELECT c_custkey, max(o_orderdate) AS last_run FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) WHERE last_run IS NULL OR last_run <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 90 DAY")
-def p15_due(spark, root):
+def pred_15_due(spark, root):
     """Topics that never ran or whose last run lies ninety days before the newest one."""
     last = table(spark, root, "orders").groupBy(col("o_custkey").alias("k")).agg(F.max("o_orderdate").alias("last_run"))
     now = table(spark, root, "orders").agg(F.max("o_orderdate").alias("now"))
@@ -132,7 +132,7 @@ def p15_due(spark, root):
 
 
 @_query("SELECT event_id FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR ts - before >= INTERVAL 60 SECOND")
-def p16_cooldown(spark, root):
+def pred_16_cooldown(spark, root):
     """Checks that come sixty seconds or more after the one before."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, root, "events").withColumn("before", F.lag("ts").over(w))
