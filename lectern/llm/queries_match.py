@@ -38,7 +38,7 @@ def item_records(spark: SparkSession, root: str) -> DataFrame:
         (F.col("item_id") * 2 + ITEM).alias("rid"),
         F.lit(ITEM).alias("side"),
         "title",
-        F.array_join(F.slice("authors", 1, 6), "; ").alias("names"),
+        F.array_join("authors", "; ").alias("names"),
         F.col("pub_year").alias("year"),
         "doi",
         "abstract",
