@@ -28,7 +28,7 @@ def _grouped(spark: SparkSession, root: str) -> DataFrame:
 _ALL = ("pmid", "cited_by", "abstract", "title", "authors", "doi", "journal", "pub_year", "arxiv_id", "url")
 
 
-def _fields(rows: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+def _fields(rows: DataFrame, wanted: tuple[str, ...], with_text: bool = True) -> DataFrame:
     source = F.lower(F.trim("source"))
     digits = F.regexp_extract("pmid", r"([0-9]{5,})", 1)
     late = F.unix_micros(F.col("fetched_at").cast("timestamp"))
@@ -55,15 +55,16 @@ def _fields(rows: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
         if field not in wanted:
             continue
         source_text = weighed if field == "abstract" else weighed.withColumn(field, F.concat(F.regexp_replace(field, r"\.\s*$", ""), F.lit(".")))
-        best = best_text(source_text, "group_id", field, "paper_id", "_weight", 5 if field == "abstract" else 1 << 40, stand_in)
-        chosen = chosen.unionByName(best.select("group_id", F.lit(field).alias("field"), "paper_id", F.col(field).alias("value")))
+        best = best_text(source_text.select("group_id", "paper_id", field, "_weight"), "group_id", field, "paper_id", "_weight", 5 if field == "abstract" else 1 << 40, stand_in, with_text)
+        value = F.col(field) if with_text else F.lit(None).cast("string")
+        chosen = chosen.unionByName(best.select("group_id", F.lit(field).alias("field"), "paper_id", value.alias("value")))
     return chosen
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Of each work with two rows or more, the rows that supply pmid, cited_by and abstract."""
     rows = _grouped(spark, root)
-    return _fields(rows, ("pmid", "cited_by", "abstract")).select("group_id", F.col("field").alias("field_name"), "paper_id")
+    return _fields(rows, ("pmid", "cited_by", "abstract"), False).select("group_id", F.col("field").alias("field_name"), "paper_id")
 
 
 def p3_records(spark: SparkSession, root: str) -> DataFrame:

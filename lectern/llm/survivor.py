@@ -2,17 +2,18 @@
 
 Texts survive by token-level consensus: the group's texts are aligned one after the other to a growing profile
 of columns, every text votes a token or a gap per column, and the existing text closest to what the columns
-elect is taken. A text that was cut off doesn't vote beyond its end, what a text repeats and what stands in the
-texts of many groups doesn't vote for itself.
+elect is taken. A text that was cut off doesn't vote beyond its end; where a text repeats itself, or says what
+the texts of many groups say, its vote is a gap. So what is cut, repeated or foreign is what differs from the
+elected columns, and a text that differs by more than a few tokens is not usable.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,11 @@ _CUT = re.compile(r"\s*(?:\.\.\.|…|\[truncated\]|\(abstract truncated\)|\[\.\.
 _LABEL = re.compile(r"^\s*(?:abstract|summary)\s*[:.\-]?\s+(?=[A-Z])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _SPACE = re.compile(r"\s+")
-#: Texts of one group that are aligned in one go; the winners of several goes are aligned again.
-_GO = 64
+#: Distinct texts of one group that are aligned in one task; the winners of several tasks are aligned again.
+_GO = 4096
+#: Tokens by which a usable text may exceed or fall short of the elected columns.
+_SLACK = 3
+_CELLS = 1 << 22
 
 
 def parted(text: str) -> tuple[list[str], bool]:
@@ -37,140 +41,251 @@ def parted(text: str) -> tuple[list[str], bool]:
     return parts, bool(cut) or not parts or parts[-1][-1] not in ".!?)\"'”。！？"
 
 
+def _best(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores of the best alignments of a with all beginnings of b (match 2, other token -1, gap -1), row by row."""
+    rows = np.empty((len(a) + 1, len(b) + 1), np.int32)
+    slope = np.arange(len(b) + 1, dtype=np.int32)
+    rows[0] = -slope
+    for i in range(1, len(a) + 1):
+        above = rows[i - 1]
+        row = above - 1
+        np.maximum(row[1:], above[:-1] + np.where(b == a[i - 1], 2, -1), out=row[1:])
+        rows[i] = np.maximum.accumulate(row + slope) - slope
+    return rows
+
+
+def align(a: np.ndarray, b: np.ndarray, cut: bool = False) -> np.ndarray:
+    """For each token of b the place in a it stands beside, or -1 where a has a gap: a global alignment with gap costs.
+
+    Equal beginnings and ends are no question; what is left of very long texts is parted in the middle of a
+    by the scores from both ends. ``cut``: what a has beyond the end of b costs nothing.
+    """
+    out = np.full(len(b), -1, np.int64)
+    short = min(len(a), len(b))
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[len(a) - short + head :][::-1] != b[len(b) - short + head :][::-1])
+    tail = 0 if cut else int(differ[0]) if len(differ) else short - head
+    out[:head] = np.arange(head)
+    if tail:
+        out[len(b) - tail :] = np.arange(len(a) - tail, len(a))
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not len(x) or not len(y):
+        return out
+    if cut:  # as far as a goes that is best for all of b
+        ends = _last(y, x)
+        x = x[: int(np.argmax(ends))]
+        inner = align(x, y)
+    elif len(x) * len(y) > _CELLS and len(x) > 1:
+        half = len(x) // 2
+        before, after = _last(x[:half], y), _last(x[half:][::-1], y[::-1])[::-1]
+        cut = int(np.argmax(before + after))
+        left, right = align(x[:half], y[:cut]), align(x[half:], y[cut:])
+        inner = np.concatenate([left, np.where(right >= 0, right + half, -1)])
+    else:
+        inner = np.full(len(y), -1, np.int64)
+        rows = _best(x, y)
+        i, j = len(x), len(y)
+        while i and j:
+            here = rows[i, j]
+            if here == rows[i - 1, j - 1] + (2 if x[i - 1] == y[j - 1] else -1):
+                i, j = i - 1, j - 1
+                inner[j] = i
+            elif here == rows[i - 1, j] - 1:
+                i -= 1
+            else:
+                j -= 1
+    out[head : len(b) - tail] = np.where(inner >= 0, inner + head, -1)
+    return out
+
+
+def _last(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The last row of ``_best`` without the others."""
+    slope = np.arange(len(b) + 1, dtype=np.int32)
+    row = -slope
+    for token in a:
+        above, row = row, row - 1
+        np.maximum(row[1:], above[:-1] + np.where(b == token, 2, -1), out=row[1:])
+        row = np.maximum.accumulate(row + slope) - slope
+    return row
+
+
 class Profile:
-    """Columns of aligned tokens; each holds the weights of its tokens and of the texts that have a gap there."""
+    """Columns of aligned tokens. Each aligned text is kept as the columns of its tokens, which votes are counted from."""
 
     def __init__(self) -> None:
-        self.columns: list[Counter] = []
-
-    def elected(self) -> list[str]:
-        out = []
-        for column in self.columns:
-            token, weight = max(column.items(), key=lambda kv: (kv[1], kv[0] != "", kv[0]))
-            if token:
-                out.append(token)
-        return out
+        self.leaders = np.empty(0, np.int64)
+        self.texts: list[tuple[np.ndarray, np.ndarray, np.ndarray, float, bool]] = []
+
+    def add(self, tokens: np.ndarray, own: np.ndarray, weight: float, cut: bool) -> None:
+        """Align a text; ``own``: tokens that vote for themselves, in place of which others vote a gap."""
+        place = align(self.leaders, tokens, cut)
+        fresh = place < 0
+        if fresh.any():
+            # new columns come after the column that the token before them stands in
+            anchor = np.maximum.accumulate(np.where(fresh, -1, place))
+            new = np.cumsum(np.bincount(anchor[fresh] + 1, minlength=len(self.leaders) + 1))
+            moved = np.arange(len(self.leaders)) + new[:-1]
+            own_rank = np.arange(len(tokens)) - np.maximum.accumulate(np.where(fresh, -1, np.arange(len(tokens))))
+            start = np.where(anchor >= 0, moved[anchor] if len(moved) else 0, -1)
+            place = np.where(fresh, start + own_rank, moved[place] if len(moved) else 0)
+            leaders = np.empty(len(self.leaders) + int(fresh.sum()), np.int64)
+            leaders[moved] = self.leaders
+            leaders[place[fresh]] = tokens[fresh]
+            self.leaders = leaders
+            self.texts = [(moved[p], t, o, w, c) for p, t, o, w, c in self.texts]
+        self.texts.append((place, tokens, own, weight, cut))
+
+    def elected(self) -> np.ndarray:
+        """Of each column the token with the greatest weight, or -1 for a gap; a token wins a tie with a gap."""
+        n = len(self.leaders)
+        gap = np.zeros(n)
+        for place, _, own, weight, cut in self.texts:
+            votes = np.full(n, weight)
+            votes[place[own]] = 0.0
+            if cut:
+                votes[(int(place[own][-1]) + 1 if own.any() else 0) :] = 0.0
+            gap += votes
+        columns = np.concatenate([p[o] for p, _, o, _, _ in self.texts])
+        tokens = np.concatenate([t[o] for _, t, o, _, _ in self.texts])
+        weights = np.concatenate([np.full(int(o.sum()), w) for _, _, o, w, _ in self.texts])
+        winner, most = np.full(n, -1, np.int64), np.zeros(n)
+        if len(columns):
+            order = np.lexsort((tokens, columns))
+            columns, tokens, weights = columns[order], tokens[order], weights[order]
+            starts = np.flatnonzero(np.r_[True, (columns[1:] != columns[:-1]) | (tokens[1:] != tokens[:-1])])
+            total = np.add.reduceat(weights, starts)
+            by = np.lexsort((-tokens[starts], total))  # the greatest comes last and stays
+            winner[columns[starts][by]], most[columns[starts][by]] = tokens[starts][by], total[by]
+        return np.where(most + 1e-9 >= gap, winner, -1)
+
+
+def consensus(texts: list[tuple[list[str], bool, float]], common: set[int]) -> tuple[int, float, bool]:
+    """Place of the text closest to the consensus of (sentences in normal form, cut off, weight), its distance in
+    tokens, and whether it is usable. ``common``: numbers of sentences that stand in many groups.
 
-    def _leaders(self) -> list[str]:
-        return [max(((w, t) for t, w in c.items() if t), default=(0, ""))[1] for c in self.columns]
-
-    def add(self, tokens: list[str], weights: list[float], cut: bool, weight: float) -> None:
-        """Align a text; its gaps vote with ``weight``, those beyond the end of a cut text not at all."""
-        if not self.columns:
-            self.columns = [Counter({t: w}) for t, w in zip(tokens, weights)]
-            self.total = weight
-            return
-        columns: list[Counter] = []
-        ops = SequenceMatcher(None, self._leaders(), tokens, autojunk=False).get_opcodes()
-        for k, (op, i1, i2, j1, j2) in enumerate(ops):
-            last = k == len(ops) - 1
-            if op == "insert":
-                columns += [Counter({t: w, "": self.total if not (last and self.open) else 0}) for t, w in zip(tokens[j1:j2], weights[j1:j2])]
-                continue
-            for i in range(i1, i2):
-                column, j = self.columns[i], j1 + i - i1
-                if j < j2:
-                    column[tokens[j]] += weights[j]
-                elif not (cut and last):
-                    column[""] += weight
-                columns.append(column)
-            extra = range(j1 + i2 - i1, j2)
-            columns += [Counter({tokens[j]: weights[j], "": self.total}) for j in extra]
-        self.columns, self.total = columns, self.total + weight
-
-    total = 0.0
-    #: Whether all texts so far were cut off, so that what follows their end meets no gap.
-    open = True
-
-
-def consensus(texts: list[tuple[str, float]], common: set[int]) -> tuple[int, float, bool]:
-    """Place of the text closest to the consensus of (text, weight), its distance in tokens, and whether it is
-    whole, unrepeated and free of ``common`` sentences (numbers of sentences that stand in many groups)."""
+    A usable text is not cut off, has no token whose vote was a gap for being repeated or common, and exceeds and lacks
+    no more than a few tokens of what is elected.
+    """
+    ids: dict[str, int] = {}
     prepared = []
-    for text, weight in texts:
-        parts, cut = parted(text)
+    for place, (parts, cut, weight) in enumerate(texts):
         seen: set[str] = set()
-        tokens, weights, flawed = [], [], cut
-        for part in parts:
-            key = plain(part)
-            own = key not in seen and number(key) not in common
-            flawed |= not own
-            seen.add(key)
-            words = key.split()
-            tokens += words
-            weights += [weight if own else 0.0] * len(words)
-        prepared.append((tokens, weights, cut, flawed, weight))
+        tokens, own = [], []
+        foreign = [number(part) in common for part in parts] + [False]
+        for k, part in enumerate(parts):
+            words = part.split()
+            if cut and k == len(parts) - 1:
+                words = words[:-1]  # where a text was cut its last word is no witness
+            tokens += [ids.setdefault(w, len(ids)) for w in words]
+            # what stands before a foreign sentence may have been cut off by it, and run into another one
+            own += [part not in seen and not foreign[k] and not foreign[k + 1]] * len(words)
+            seen.add(part)
+        prepared.append((np.array(tokens, np.int64), np.array(own, bool), cut or foreign[-2], weight, place))
     profile = Profile()
-    # texts without a flaw first, the longest before the others: the profile grows from what needs no gap
-    for tokens, weights, cut, flawed, weight in sorted(prepared, key=lambda p: (p[3], -len(p[0]), p[0])):
-        profile.add(tokens, weights, cut, weight)
-        profile.open &= cut
+    # the profile grows from what needs no gap: whole texts first, the longest before the others
+    order = sorted(prepared, key=lambda p: (p[2] or not p[1].all(), -len(p[0]), texts[p[4]][0]))
+    for tokens, own, cut, weight, _ in order:
+        profile.add(tokens, own, weight, cut)
     goal = profile.elected()
     best = None
-    for place, (tokens, _, _, flawed, weight) in enumerate(prepared):
-        same = sum(b.size for b in SequenceMatcher(None, goal, tokens, autojunk=False).get_matching_blocks()) if tokens != goal else len(goal)
-        key = (flawed, len(goal) + len(tokens) - 2 * same, -weight, place)
+    for (tokens, own, cut, weight, place), (columns, *_) in zip(order, profile.texts):
+        there = goal[columns]
+        extra, missing = int((there < 0).sum()), int((goal >= 0).sum() - (there >= 0).sum())
+        other = int(((there >= 0) & (there != tokens)).sum())
+        usable = bool(len(tokens)) and not cut and bool(own.all()) and extra <= _SLACK and missing <= _SLACK
+        key = (not usable, extra + missing + 2 * other, -weight, place)
         if best is None or key < best:
             best = key
     return best[3], float(best[1]), not best[0]
 
 
-def common_sentences(df: DataFrame, group: str, text: str, least: int) -> DataFrame:
-    """(s): numbers of the sentences that stand in the texts of ``least`` groups or more."""
+def _parsed(df: DataFrame, text: str) -> DataFrame:
+    """df with cut, said (numbers of the sentences in order) and flat (their normal forms, one a line) instead of the text."""
+    rest = [c for c in df.columns if c != text]
 
-    def numbers(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [number(plain(s)) for s in dict.fromkeys(parted(t)[0])] if t else [])
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut, said, flat = [], [], []
+            for value in batch.column(0).to_pylist():
+                parts, open_end = parted(value)
+                forms = [" ".join(plain(p).split()) for p in parts]
+                cut.append(open_end)
+                said.append([number(f) for f in forms])
+                flat.append("\n".join(forms))
+            columns = [batch.column(k) for k in range(1, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.bool_()), pa.array(said, pa.list_(pa.int64())), pa.array(flat, pa.string())], [*rest, "cut", "said", "flat"])
 
-    said = df.select(F.col(group).alias("g"), F.explode(F.pandas_udf(numbers, "array<long>")(F.col(text))).alias("s")).distinct()
-    return said.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("s")
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+    return df.select(text, *rest).mapInArrow(of_batches, f"{schema}, cut boolean, said array<long>, flat string")
 
 
-def best_text(df: DataFrame, group: str, text: str, row: str, weight: str, many: int = 5, stand_in: int = 40) -> DataFrame:
-    """(group, row, text, distance): of each group the row that holds the text closest to the consensus.
+def best_text(df: DataFrame, group: str, text: str, row: str, weight: str, many: int = 5, stand_in: int = 40, with_text: bool = True) -> DataFrame:
+    """(group, row, distance[, text]): of each group the row that holds the text closest to the consensus.
 
     Rows whose texts are alike but for spaces count as one text with their summed ``weight``; it is given by
     its least ``row``. Null texts and those below ``stand_in`` characters are none; a group whose texts are all
     cut off, repeated or mixed with what stands in ``many`` groups or more gives no row. Equal distances are
-    settled by weight, then by the least row. A large group is aligned in goes of 64 distinct texts.
+    settled by weight, then by the least row. Above 4,096 distinct texts a group is aligned in parts, and their
+    winners again with the weights of their parts.
     """
     folded = F.trim(F.regexp_replace(text, r"\s+", " "))
-    rows = stored(
+    rows = (
         df.where(F.length(folded) >= stand_in)
         .select(F.col(group).alias("g"), folded.alias("t"), F.col(row).alias("r"), F.col(weight).cast("double").alias("w"))
         .groupBy("g", "t")
         .agg(F.min("r").alias("r"), F.sum("w").alias("w"))
     )
-    common = common_sentences(rows, "g", "t", many)
-    sentences = rows.select("g", "t", "r")
+    parsed = stored(_parsed(rows, "t"))
+    said = parsed.select("g", "r", F.explode(F.array_distinct("said")).alias("s"))
+    common = said.groupBy("s").agg(F.countDistinct("g").alias("n")).where(F.col("n") >= many).select("s")
+    marked = said.join(common, "s").groupBy("g", "r").agg(F.collect_list("s").alias("common"))  # at most a text's own sentences
+    sizes = parsed.groupBy("g").agg(F.count("*").alias("n"))
+    now = stored(parsed.join(marked, ["g", "r"], "left").join(sizes, "g").withColumn("common", F.coalesce("common", F.array().cast("array<long>"))))
+    # a text alone is what it elects
+    alone = now.where("n = 1").where(~F.col("cut") & (F.size("common") == 0) & (F.size("said") > 0) & (F.size(F.array_distinct("said")) == F.size("said")))
+    elected = alone.select("g", "r", F.lit(0.0).alias("distance"))
+    several = now.where("n > 1")
+    kind = f"g {df.schema[group].dataType.simpleString()}, r {df.schema[row].dataType.simpleString()}, w double, distance double, good boolean"
 
-    def numbers(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [number(plain(s)) for s in dict.fromkeys(parted(t)[0])])
+    def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            out = []
+            for record in zip(*(batch.column(k).to_pylist() for k in range(7))):
+                if record[:2] != current:
+                    if held:
+                        out.append(won(held))
+                    current, held = record[:2], []
+                held.append(record)
+            if out:
+                yield of(out, batch)
+        if held:
+            yield of([won(held)], batch)
+
+    def won(held: list[tuple]) -> tuple:
+        place, distance, good = consensus([(flat.split("\n") if flat else [], cut, w) for _, _, _, w, cut, flat, _ in held], {s for x in held for s in x[6]})
+        return held[place][0], held[place][2], sum(x[3] for x in held), distance, good
+
+    def of(out: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = list(zip(*out))
+        kinds = (batch.schema.field(0).type, batch.schema.field(2).type, pa.float64(), pa.float64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["g", "r", "w", "distance", "good"])
 
-    marked = (
-        sentences.select("g", "r", F.explode(F.pandas_udf(numbers, "array<long>")(F.col("t"))).alias("s"))
-        .join(common, "s")
-        .groupBy("g", "r")
-        .agg(F.collect_set("s").alias("common"))  # at most a text's own sentences
-    )
-    now = rows.join(marked, ["g", "r"], "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
-
-    def elect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("r").reset_index(drop=True)
-        flagged = {s for c in pdf["common"] for s in c}
-        place, distance, good = consensus(list(zip(pdf["t"], pdf["w"])), flagged)
-        one = pdf.iloc[[place]].copy()
-        one["w"] = pdf["w"].sum()
-        one["distance"], one["good"] = distance, good
-        return one[["g", "t", "r", "w", "common", "distance", "good"]]
-
-    kind = f"g {df.schema[group].dataType.simpleString()}, t string, r {df.schema[row].dataType.simpleString()}, w double, common array<long>"
     while True:
-        placed = now.withColumn("go", F.floor((F.row_number().over(Window.partitionBy("g").orderBy("r")) - 1) / _GO)) if now is not None else now
-        elected = stored(placed.groupBy("g", "go").applyInPandas(elect, kind + ", distance double, good boolean"))
-        if elected.groupBy("g").count().where("count > 1").isEmpty():
+        part = F.when(F.col("n") > _GO, F.pmod(F.xxhash64("r"), F.ceil(F.col("n") / _GO))).otherwise(0).alias("part")
+        dealt = several.select("g", part, "r", "w", "cut", "flat", "common").repartition("g", "part").sortWithinPartitions("g", "part", "r")
+        won_ = stored(dealt.mapInArrow(elect, kind))
+        counts = won_.groupBy("g").agg(F.count("*").alias("n"))
+        elected = elected.union(won_.join(counts.where("n = 1"), "g").where("good").select("g", "r", "distance"))
+        again = counts.where("n > 1")
+        if again.isEmpty():
             break
-        now = elected.drop("distance", "good")
-    return elected.where("good").select(F.col("g").alias(group), F.col("r").alias(row), F.col("t").alias(text), "distance")
+        several = won_.join(again, "g").select("g", "r", "w", "n").join(parsed.select("g", "r", "cut", "flat"), ["g", "r"]).join(marked, ["g", "r"], "left").withColumn("common", F.coalesce("common", F.array().cast("array<long>")))
+    found = elected.select(F.col("g").alias(group), F.col("r").alias(row), "distance")
+    if not with_text:
+        return found
+    return found.join(df.select(F.col(row).alias("_r"), F.col(group).alias("_g"), folded.alias(text)).distinct(), (F.col(row) == F.col("_r")) & (F.col(group) == F.col("_g"))).select(group, row, text, "distance")
 
 
 def most_trusted(df: DataFrame, group: str, fields: dict[str, tuple], row: str) -> DataFrame:

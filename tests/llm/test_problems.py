@@ -16,7 +16,8 @@ from lectern.llm import textnorm as X
 from lectern.llm.mixing import MixOptions, draw, plan
 from lectern.llm.packing import PackOptions, fill, pack, token_counts
 from lectern.llm.spans import SpanOptions, shared_spans, sharing_pairs, stretches
-from lectern.llm.survivor import best_text, consensus, most_trusted
+from lectern.llm import survivor as V
+from lectern.llm.survivor import best_text, most_trusted
 
 
 def _noise(rnd, n):
@@ -179,12 +180,59 @@ def test_kinds():
     assert X.plain("ShismÃ¤r") == "shismar" and X.doi_of("DOI: 10.1234/AB1/ ") == "10.1234/ab1"
 
 
+def _texts(*written):
+    out = []
+    for text, weight in written:
+        parts, cut = V.parted(text)
+        out.append(([X.plain(p) for p in parts], cut, weight))
+    return out
+
+
 def test_consensus():
     whole = "First thing was seen. Then the second came. A third ended it."
-    texts = [("First thing was seen. Then the sec...", 1.0), (whole + " " + whole, 1.0), ("Sign in here. " + whole, 1.0), (whole, 1.0)]
-    place, distance, good = consensus(texts, {X.number(X.plain("Sign in here."))})
-    assert (place, distance, good) == (3, 0.0, True)
-    assert not consensus(texts[:1], set())[2]
+    texts = _texts(("First thing was seen. Then the sec...", 1.0), (whole + " " + whole, 1.0), ("Sign in here. " + whole, 1.0), (whole, 1.0))
+    assert V.consensus(texts, {X.number(X.plain("Sign in here."))}) == (3, 0.0, True)
+    assert not V.consensus(texts[:1], set())[2]
+
+
+def test_the_vote_rejects_what_one_text_adds():
+    whole = "First thing was seen. Then the second came. A third ended it."
+    foreign = whole.replace(" A third", " Nobody else has ever written such words here. A third")
+    texts = _texts((foreign, 1.5), (whole, 1.0), (whole.replace("seen", "sewn"), 1.0))
+    assert V.consensus(texts, set()) == (1, 0.0, True)
+    assert V.consensus(_texts((foreign, 1.0), (whole[:40] + "…", 3.0)), set()) == (0, 0.0, True)  # nothing speaks against it
+    assert V.consensus(_texts((whole[:30], 9.0), (whole, 1.0)), set())[0] == 1
+
+
+def _by_cells(a, b):
+    best = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            best[i, j] = max([best[i - 1, j] - 1] * (i > 0) + [best[i, j - 1] - 1] * (j > 0) + [best[i - 1, j - 1] + (2 if i and j and a[i - 1] == b[j - 1] else -1)] * (i > 0 and j > 0), default=0)
+    return best[len(a), len(b)]
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 4])
+def test_alignment_is_the_best(monkeypatch, cells):
+    monkeypatch.setattr(V, "_CELLS", cells)
+    rnd = np.random.default_rng(11)
+    for _ in range(60):
+        a, b = rnd.integers(0, 4, rnd.integers(0, 14)), rnd.integers(0, 4, rnd.integers(0, 14))
+        place = V.align(a, b)
+        there = place[place >= 0]
+        assert (np.diff(there) > 0).all()
+        score = sum(2 if a[p] == b[k] else -1 for k, p in enumerate(place) if p >= 0) - (place < 0).sum() - (len(a) - len(there))
+        assert score == _by_cells(a.tolist(), b.tolist())
+
+
+def test_a_large_group(spark, monkeypatch):
+    words = [f"w{k}" for k in range(40)]
+    whole = "The " + " ".join(words) + " end of it."
+    rows = [(1, k, whole.replace(words[k % 40], f"x{k}"), 1.0) for k in range(200)] + [(1, 900, whole, 1.0)]
+    df = spark.createDataFrame(rows, "g long, r long, t string, w double")
+    assert [(x.g, x.r, x.t) for x in V.best_text(df, "g", "t", "r", "w").collect()] == [(1, 900, whole)]
+    monkeypatch.setattr(V, "_GO", 50)
+    assert [(x.g, x.r) for x in V.best_text(df, "g", "t", "r", "w", with_text=False).collect()] == [(1, 900)]
 
 
 def test_survivors(spark):
