@@ -208,7 +208,8 @@ def _by_cells(a, b):
     best = {}
     for i in range(len(a) + 1):
         for j in range(len(b) + 1):
-            best[i, j] = max([best[i - 1, j] - 1] * (i > 0) + [best[i, j - 1] - 1] * (j > 0) + [best[i - 1, j - 1] + (2 if i and j and a[i - 1] == b[j - 1] else -1)] * (i > 0 and j > 0), default=0)
+            same = 2 if i and j and a[i - 1] == b[j - 1] else -1
+            best[i, j] = max(best.get((i - 1, j), -99) - 1, best.get((i, j - 1), -99) - 1, best.get((i - 1, j - 1), -99) + same) if i or j else 0
     return best[len(a), len(b)]
 
 
