@@ -140,7 +140,17 @@ def split_oversized(df: DataFrame, key: str, text: str, options: PieceOptions =
     short texts give no rows, repeated rows give repeated pieces, an empty table gives none. Columns of the
     input other than those named are dropped, so they can't clash.
     """
-    run = re.compile(rf"[^\s{_ENDS}]{{{options.limit + 1},}}")
+    stop = re.compile(rf"[\s{_ENDS}]")
+
+    def is_hard(value: str, ends: np.ndarray, kinds: np.ndarray) -> bool:
+        """Whether a step of the table that found no boundary in reach lies in a stretch longer than a piece without any
+        white space or end mark. A longer stretch can't be passed without such a step."""
+        for place in ends[kinds == HARD].tolist():
+            before, after = value[max(0, place - options.limit - 1) : place][::-1], value[place : place + options.limit + 1]
+            left, right = stop.search(before), stop.search(after)
+            if (left.start() if left else len(before)) + (right.start() if right else len(after)) > options.limit:
+                return True
+        return False
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +165,7 @@ def split_oversized(df: DataFrame, key: str, text: str, options: PieceOptions =
                 start += begins
                 end += ends.tolist()
                 cut += [KINDS[k] for k in kinds]
-                hard += [int(run.search(value) is not None)] * len(ends)
+                hard += [int(is_hard(value, ends, kinds))] * len(ends)
                 if with_text:
                     content += [value[a:b] for a, b in zip(begins, ends)]
                 size += len(value)

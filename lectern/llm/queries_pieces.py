@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.pieces import split_oversized
+from lectern.llm.pieces import PieceOptions, split_oversized
 from lectern.session import table
 
 
 def _pieces(spark: SparkSession, root: str, with_text: bool) -> DataFrame:
-    elements = table(spark, root, "page_elements").select("elem_pk", "text")
-    texts = table(spark, root, "pdf_texts").select("pdf_id", "full_text", "pdf_path")
+    limit = PieceOptions().limit
+    # repeated rows go before they are cut, and only those that will be
+    elements = table(spark, root, "page_elements").select("elem_pk", "text").where(F.length("text") > limit).distinct()
+    texts = table(spark, root, "pdf_texts").select("pdf_id", "full_text", "pdf_path").where(F.length("full_text") > limit).distinct()
     reached = table(spark, root, "zotero_items").select("pdf_path").where("pdf_path <> ''").distinct()
     one = split_oversized(elements, "elem_pk", "text", with_text=with_text)
     two = split_oversized(texts, "pdf_id", "full_text", with_text=with_text, keep=("pdf_path",)).join(reached, "pdf_path", "left_semi")
@@ -28,8 +30,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     """All pieces in order with their offsets."""
-    rows = _pieces(spark, root, True).distinct()
-    return rows.select("holder", "holder_id", "piece", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "cut", "content")
+    return _pieces(spark, root, True).select("holder", "holder_id", "piece", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "cut", "content")
 
 
 P2_FOUND_SQL = r"""

@@ -32,7 +32,8 @@ _ROWS = 2
 class SpanOptions:
     """span: least length shared, in code points. gram: length of an anchor. slots: counters per window of
     the sketch. max_counter_bits: bound of the sketch (two bitmaps of 2**bits bits are broadcast, 64 MB at
-    28); beyond it more windows pass the first filter and none are lost. hot: occurrences of an anchor from
+    28); beyond it more windows pass the first filter and none are lost: those cost 28 bytes each, as their texts are
+    fetched only after the exact grouping. hot: occurrences of an anchor from
     which its windows of the whole span are grouped instead of paired."""
 
     span: int = 160
@@ -148,22 +149,21 @@ def _sketch(df: DataFrame, text: str, options: SpanOptions, bits: int) -> DataFr
     return partial.groupBy("row", "block").applyInPandas(merged, "row int, block int, bits binary")
 
 
-def _repeated_anchors(df: DataFrame, key: str, text: str, options: SpanOptions, bits: int) -> DataFrame:
-    """(doc, h, pos, off, ctx) of the anchors that the sketch says are repeated; ctx is the text from
-    span - gram characters before the anchor, which begins at off in it, to span characters after its start."""
-    block_bits, reach = min(_BLOCK_BITS, bits), options.span - options.gram
-    rows = [np.zeros(2**bits // 8, np.uint8) for _ in range(_ROWS)]
-    for row, block, packed in _sketch(df, text, options, bits).collect():  # bounded: _ROWS bitmaps of 2**bits
+def _repeated_anchors(rows: DataFrame, options: SpanOptions, bits: int) -> DataFrame:
+    """(doc, tid, h, pos) of the anchors that the sketch says are repeated; ``rows``: (key, tid, text)."""
+    block_bits = min(_BLOCK_BITS, bits)
+    bitmaps_ = [np.zeros(2**bits // 8, np.uint8) for _ in range(_ROWS)]
+    for row, block, packed in _sketch(rows, "text", options, bits).collect():  # bounded: _ROWS bitmaps of 2**bits
         size = 2**block_bits // 8
-        rows[row][block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast([zlib.compress(r.tobytes(), 1) for r in rows])
+        bitmaps_[row][block * size : (block + 1) * size] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast([zlib.compress(r.tobytes(), 1) for r in bitmaps_])
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps, hasher = None, _Hasher()
         for batch in batches:
             if bitmaps is None:
                 bitmaps = [np.frombuffer(zlib.decompress(x), np.uint8) for x in shared.value]
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, tids, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for codes, at in _chunks(texts, options.span):
                 places, h = anchors(codes, at, options, hasher)
                 keep = np.ones(len(h), bool)
@@ -174,17 +174,22 @@ def _repeated_anchors(df: DataFrame, key: str, text: str, options: SpanOptions,
                     continue
                 starts = np.array([x[2] for x in at])
                 piece = np.searchsorted(starts, places, "right") - 1
-                doc = np.array([x[0] for x in at])[piece]
+                doc = pa.array(np.array([x[0] for x in at])[piece])
                 pos = places - starts[piece] + np.array([x[1] for x in at])[piece]
-                off = np.minimum(pos, reach)
-                ctx = [texts[d][p - o : p + options.span] for d, p, o in zip(doc, pos, off)]
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(pos, pa.int32()), pa.array(off, pa.int32()), pa.array(ctx, pa.string())],
-                    ["doc", "h", "pos", "off", "ctx"],
-                )
+                yield pa.RecordBatch.from_arrays([keys.take(doc), tids.take(doc), pa.array(h.view(np.int64)), pa.array(pos, pa.int32())], ["doc", "tid", "h", "pos"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", "tid", "text").mapInArrow(passing, f"doc {kind}, tid long, h long, pos int")
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(passing, f"doc {kind}, h long, pos int, off int, ctx string")
+
+def _contexts(counted: DataFrame, rows: DataFrame, options: SpanOptions) -> DataFrame:
+    """counted (doc, tid, h, pos, n) with off and ctx: the text from span - gram characters before the anchor, which begins
+    at off in it, to span characters after its start. Only texts with a repeated anchor travel."""
+    reach = options.span - options.gram
+    places = counted.groupBy("doc", "tid").agg(F.collect_list(F.struct("h", "pos", "n")).alias("places"))  # one text's anchors
+    texts = rows.dropDuplicates(["key", "tid"]).join(places, (F.col("key") == F.col("doc")) & (rows["tid"] == places["tid"])).select("doc", "text", F.explode("places").alias("p"))
+    at = texts.select("doc", "p.*", F.least("p.pos", F.lit(reach)).alias("off"), "text")
+    return at.select("doc", "h", "pos", "n", "off", F.substr("text", F.col("pos") - F.col("off") + 1, F.col("off") + options.span).alias("ctx"))
 
 
 def _common(a: Column, b: Column, most: int) -> Column:
@@ -223,15 +228,11 @@ def shared_spans(df: DataFrame, key: str, text: str, options: SpanOptions = Span
     windows = max(1, int(chars * 2 / (reach + 2)))
     bits = min(options.max_counter_bits, max(16, (windows * options.slots - 1).bit_length()))
     other = copies.where("doc <> rep").select("doc")
-    passed = _repeated_anchors(rows, "key", "text", options, bits).join(other, "doc", "left_anti")
-    several = Window.partitionBy("h")
-    counted = stored(
-        passed.withColumn("n", F.count("*").over(several))
-        .withColumn("first", F.min("doc").over(several))
-        .withColumn("last", F.max("doc").over(several))
-        .where(F.col("first") != F.col("last"))
-        .drop("first", "last")
-    )
+    told = rows.withColumn("tid", F.xxhash64("text"))
+    passed = stored(_repeated_anchors(told, options, bits).join(other, "doc", "left_anti"))
+    # counted before the shuffle and joined back, so an anchor that stands anywhere is never one group
+    several = passed.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "n")
+    counted = stored(_contexts(passed.join(several, "h"), told, options))
     cold = counted.where(F.col("n") <= options.hot).select(
         "doc", "h", "pos", F.reverse(F.substr("ctx", F.lit(1), F.col("off"))).alias("left"), F.substr("ctx", F.col("off") + 1, F.lit(span)).alias("right")
     )
@@ -250,8 +251,9 @@ def shared_spans(df: DataFrame, key: str, text: str, options: SpanOptions = Span
         .where(F.length("win") == span)
         .distinct()
     )
-    same = Window.partitionBy("win")
-    hot = windows_of_hot.withColumn("_a", F.min("doc").over(same)).withColumn("_b", F.max("doc").over(same)).where("_a <> _b").drop("_a", "_b")
+    windows_of_hot = stored(windows_of_hot)
+    several_wins = windows_of_hot.groupBy("win").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a <> _b").select("win")
+    hot = windows_of_hot.join(several_wins, "win").select("doc", "start", "win")
     return SharedSpans(copies, stored(matches), stored(hot))
 
 

@@ -51,6 +51,22 @@ def test_spans_against_brute_force(spark, hot):
         assert covered.get(k, set()) == want
 
 
+def test_spans_beyond_the_sketch(spark):
+    rnd = random.Random(9)
+    shared = _noise(rnd, 300)
+    rows = [(k, _noise(rnd, 300) + shared * (k in (3, 7)) + _noise(rnd, 50)) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    # a sketch so small that every window passes it: the exact grouping decides alone
+    found = shared_spans(df, "id", "body", SpanOptions(max_counter_bits=4))
+    assert {tuple(r) for r in sharing_pairs(found).collect()} == {(3, 7)}
+
+
+def test_an_anchor_in_every_text(spark):
+    rows = [(k, "x" * 200 + str(k) * 3) for k in range(300)]
+    found = shared_spans(spark.createDataFrame(rows, "id long, body string"), "id", "body")
+    assert sharing_pairs(found).count() == 300 * 299 // 2
+
+
 def test_spans_of_nothing(spark):
     df = spark.createDataFrame([], "id long, body string")
     found = shared_spans(df, "id", "body")
