@@ -2,7 +2,7 @@
 
 A spelling is read into a signature: family name (or an organisation's own word), given name, initials. Family
 names are compared as vectors of weighted character n-grams by a distributed sparse cosine join (rarest n-grams
-first, so common ones never need to be joined), the most similar ones kept; signatures with similar family names
+first, so common ones never need to be joined), and all that are similar kept; signatures with similar family names
 and given names that agree are linked, and the linked signatures are grouped by average-linkage clustering, which
 keeps two people apart whom one shared initial would join.
 """
@@ -28,13 +28,12 @@ _KINDS = ("collaboration", "consortium", "initiative", "network", "study", "grou
 
 @dataclass(frozen=True)
 class NameOptions:
-    """gram: length of an n-gram. cosine: least similarity of two family names. top: most similar names kept per
-    name, beside those one slip apart. share: a token in more than this share of all spellings is common (so there are at most tokens per
+    """gram: length of an n-gram. cosine: least similarity of two family names, below which only those one slip apart
+    count. share: a token in more than this share of all spellings is common (so there are at most tokens per
     name / share common ones, and they fit any memory). cut: least average similarity of a cluster."""
 
     gram: int = 4
     cosine: float = 0.3
-    top: int = 24
     share: float = 1 / 4000
     cut: float = 0.5
 
@@ -149,22 +148,20 @@ def _lexicon(spellings: DataFrame, hints: DataFrame | None, options: NameOptions
     common = pairs.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     families = pairs.groupBy(F.col("s").alias("g")).agg(F.count("*").alias("m"))
     counts = {r.g: r.n for r in common.join(families, "g", "left").where("coalesce(m, 0) < n").collect()}
-    own = pairs.join(common.select("g"), "g")
-    # a family name that goes with very many given names tells nothing about nicknames
-    usual = own.groupBy("s").agg(F.count("*").alias("k")).where("k between 2 and 30").select("s")
-    told = own.join(usual, "s")
-    a, b = told.select("s", F.col("g").alias("nick")), told.select("s", F.col("g").alias("full"))
-    together = a.join(b, "s").where("nick <> full").groupBy("nick", "full").agg(F.count("*").alias("n")).where(F.col("n") >= 2).collect()
+    own = stored(pairs.join(common, "g"))
+    told = own.join(own.groupBy("s").agg((F.count("*") - 1).alias("others")), "s")
+    # the nickname is the rarer of the two and nearly always has the full name beside it
+    a, b = told.select("s", F.col("g").alias("nick"), F.col("n").alias("c")), told.select("s", F.col("g").alias("full"), F.col("n").alias("f"))
+    beside = a.join(b, "s").where("f > 1.5 * c").groupBy("nick", "full", "c", "f").agg(F.count("*").alias("n"))
+    likely = beside.where((F.col("n") >= 2) & (F.col("n") > 0.4 * F.col("c")) & (F.col("n") / F.col("c") > 4 * F.col("f") / max(1, total)))
+    # beside a family name with very many given names any of them stands by chance (e times, with variance v), which tells nothing
+    among = told.groupBy(F.col("g").alias("nick"), "others").agg(F.count("*").alias("m"))
+    chance = F.least(F.lit(1.0), F.col("others") * F.col("f") / max(1, own.count()))
+    weighed = likely.join(among, "nick").groupBy("nick", "full", "c", "n").agg(F.sum(F.col("m") * chance).alias("e"), F.sum(F.col("m") * chance * (1 - chance)).alias("v"))
     lexicon = Lexicon(set(counts))
-    best: dict[str, dict[str, float]] = defaultdict(dict)
-    for r in together:
+    for r in weighed.where("n - e > 0.4 * (c - e) and n - e > 3 * sqrt(v)").collect():
         if r.nick in counts and r.full in counts:
-            best[r.nick][r.full] = r.n / counts[r.nick]
-    for nick, fulls in best.items():
-        # the nickname is the rarer of the two and nearly always has the full name beside it
-        likely = {full for full, part in fulls.items() if part > 0.4 and counts[full] > 1.5 * counts[nick] and part > 4 * counts[full] / max(1, total)}
-        if likely:
-            lexicon.stands_for[nick] = likely
+            lexicon.stands_for.setdefault(r.nick, set()).add(r.full)
     if hints is not None:
         for r in hints.where("given_name is not null and nick is not null").collect():  # a fixed list
             lexicon.stands_for.setdefault(plain(r.nick), set()).add(plain(r.given_name))
@@ -188,7 +185,7 @@ def _signatures(spellings: DataFrame, lexicon: Lexicon) -> DataFrame:
                 if found and found[0]:
                     family, given, initials, rest = found
                     canon = sorted(own.canonical(given)) if given else []
-                    rows.append((name, family[:80], canon, initials[:8], rest, bool(given)))
+                    rows.append((name, family, canon, initials, rest, bool(given)))
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["name", "family", "canon", "initials", "rest", "full"])
@@ -237,16 +234,14 @@ def similar_names(tokens: DataFrame, options: NameOptions) -> DataFrame:
     products = close.union(slips).distinct().join(va, "a").join(vb, ["b", "gram"]).select("a", "b", "edits", (F.col("wa") * F.col("wb")).alias("cosine"))
     scored = products.union(slips.withColumn("cosine", F.lit(0.0))).groupBy("a", "b", "edits").agg(F.sum("cosine").alias("cosine"))
     scored = scored.where((F.col("cosine") >= options.cosine) | a_slip).withColumn("cosine", F.greatest("cosine", F.lit(options.cosine)))
-    both = scored.union(scored.select(F.col("b"), F.col("a"), F.col("edits"), F.col("cosine")))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
-    return both.withColumn("k", rank).where((F.col("k") <= options.top) | a_slip).drop("k")
+    return scored.union(scored.select(F.col("b"), F.col("a"), F.col("edits"), F.col("cosine")))
 
 
 def _agree(x: str, y: str) -> Column:
     """0..1: whether what stands beside two family names may belong to one person or organisation."""
     c = lambda f, s: F.col(f"{f}_{s}")
     first = F.substr(c("initials", x), F.lit(1), F.lit(1)) == F.substr(c("initials", y), F.lit(1), F.lit(1))
-    second = [F.substr(c("initials", s), F.lit(2), F.lit(7)) for s in (x, y)]
+    second = [F.substr(c("initials", s), F.lit(2)) for s in (x, y)]
     middle = (second[0] == "") | (second[1] == "") | second[0].startswith(second[1]) | second[1].startswith(second[0])
     full = c("full", x) & c("full", y)
     stands = lambda s, o: F.exists(c("canon", s), lambda g: F.substr(g, F.lit(1), F.lit(1)) == F.substr(c("initials", o), F.lit(1), F.lit(1)))

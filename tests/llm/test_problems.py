@@ -111,6 +111,34 @@ def test_every_slip_in_a_family_name_is_a_pair(spark):
     assert want - found == set()
 
 
+def test_a_name_keeps_all_its_partners(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefghiklmnoprstuvz") for _ in range(n))
+    base = word(24)
+    partners = {base[:20] + x + base[21] + y + base[23] for x, y in itertools.product("qwxyj", repeat=2)} | {base[:2] + x + y + base[4:] for x, y in itertools.product("qwx", repeat=2)}
+    df = spark.createDataFrame([(n,) for n in [base, *partners, *(word(9) for _ in range(400))]], "t string")
+    found = {r.b for r in N.similar_names(df, N.NameOptions()).where(f"a = '{base}'").collect()}
+    assert len(partners) == 34 and partners - found == set()
+
+
+def test_long_names_are_compared_whole(spark):
+    stem = "a" * 90
+    names = [f"{stem}bcdf, Nadia", f"{stem}ghik, Nadia", "Velaud, A. B. C. D. E. F. G. H. I.", "Velaud, A. B. C. D. E. F. G. H. K."]
+    groups = N.name_groups(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert len({r.entity for r in groups}) == 4
+
+
+def test_nicknames_beside_hot_family_names(spark):
+    rnd = random.Random(9)
+    given = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra") for b in ("dan", "fel", "gor", "hus", "jim", "kel", "lor", "mas", "nit", "pus", "ban", "tel", "sor", "dus", "fim", "mel", "nor", "kas", "rit", "lus")]
+    rows = []
+    for k in range(40):
+        beside = rnd.sample(given, 35) + (["robert"] if k < 16 else []) + (["bobby"] if k < 8 else [])
+        rows += [(f"fam{chr(97 + k // 26)}{chr(97 + k % 26)}, {g}",) for g in beside]
+    lexicon = N._lexicon(spark.createDataFrame(rows, "name string"), None, N.NameOptions())
+    assert lexicon.stands_for == {"bobby": {"robert"}}
+
+
 def test_average_linkage_parts_a_shared_initial():
     got = N._linkage([(1, 3, 0.85), (2, 3, 0.85)], {1: 9, 2: 1, 3: 1}, 0.5)
     assert got[1] == got[3] != got[2]
