@@ -217,6 +217,46 @@ def test_large_blocks_lose_nothing(spark):
     assert {(first + k, first + 60 + k) for k in range(60)} - found == set()
 
 
+def test_pairs_whatever_the_size_of_blocks(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefghiklmnoprstuvz") for _ in range(9)) for _ in range(40)]
+    people = [w[:6].title() for w in words]
+    rows = []
+    for k in range(50):  # two shared words by chance; titles of nothing else; three words that all have
+        some = rnd.sample(words[2:12], 4)
+        rows.append({"title": " ".join([words[0], words[1], *some]), "names": ", ".join(rnd.sample(people, k % 4)), "abstract": f"{words[3]} {words[4]} {words[k % 9]} said."})
+        rows.append({"title": f"{words[20]} {words[21]}", "names": ", ".join(rnd.sample(people, k % 3)), "year": str(1990 + k % 5)})
+        rows.append({"title": " ".join([*words[30:33], words[34 + k % 5]]), "year": str(1990 + k)})
+    rows += rows[:3]
+    records = M.prepare(spark.createDataFrame(_records(rows), _SCHEMA)).cache()
+    of = [{tuple(r) for r in M.candidates(records, M.MatchOptions(block=n)).collect()} for n in (2, 40, 10**6)]
+    assert of[0] == of[1] == of[2]
+    content = {r.rid: (set(r.words), set(r.names)) for r in records.collect()}
+    reviews = [k for k in range(150) if k % 3 == 1]
+    want = set()
+    for a, b in itertools.combinations(reviews, 2):
+        (_, x), (_, y) = content[a], content[b]
+        if not x or not y or x & y:
+            want.add((a, b))
+    want = {(a, b) for a, b in want if not any(rows[r] in rows[:r] for r in (a, b))}
+    assert want - {(r[0], r[1]) for r in of[0] if r[3]} == set()
+
+
+def test_copies_have_all_their_pairs(spark):
+    one = {"title": "Alpha beta gamma delta", "names": "Xan Velaud", "doi": "10.1234/ab1", "year": "2001"}
+    rows = [one, one, one, one | {"year": "2002"}, one | {"year": "2002"}]
+    records = M.prepare(spark.createDataFrame(_records(rows), _SCHEMA)).cache()
+    scored = M.with_copies(M.match(records), records).collect()
+    assert sorted((r.a, r.b) for r in scored) == list(itertools.combinations(range(5), 2))
+
+
+def test_what_many_abstracts_say_is_no_key(spark):
+    told = ["This page was made by the publisher of it.", "All of its rights are held by somebody."]
+    rows = [{"title": f"Title number {X.plain(chr(97 + k % 26))}{k} of works", "abstract": " ".join([*told, f"Only the work {k} has this sentence."])} for k in range(60)]
+    records = M.without_common(M.prepare(spark.createDataFrame(_records(rows), _SCHEMA)), M.MatchOptions())
+    assert {len(r.abstract) for r in records.collect()} == {1}
+
+
 def test_kinds():
     assert X.kind_of(X.words_of("Correction to: A b"), False)[0] == "correction:/"
     assert X.kind_of(X.words_of("A b. Part II"), False) == (":ii/", ["a", "b"])
