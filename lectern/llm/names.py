@@ -193,6 +193,12 @@ def _signatures(spellings: DataFrame, lexicon: Lexicon) -> DataFrame:
     return spellings.select("name").mapInArrow(of_batches, "name string, family string, canon array<string>, initials string, rest string, full boolean")
 
 
+def _bag(token: str) -> Column:
+    """64 bits for the letters of a token: of each of 32 classes of letters whether there is one, and whether there are two."""
+    at = f"2 * (ascii(substr({token}, i, 1)) % 32)"
+    return F.expr(f"aggregate(sequence(1, length({token})), 0L, (m, i) -> m | shiftleft(if((m & shiftleft(1L, {at})) = 0, 1L, 2L), {at}))")
+
+
 def similar_names(tokens: DataFrame, options: NameOptions) -> DataFrame:
     """(a, b, edits, cosine): ordered pairs of different tokens whose n-gram vectors have the least cosine or more,
     and all that are one slip apart, which count as of the least cosine.
@@ -216,10 +222,12 @@ def similar_names(tokens: DataFrame, options: NameOptions) -> DataFrame:
     order = Window.partitionBy("t").orderBy(F.desc("df"), "gram")
     left = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     vectors = stored(unit.withColumn("rest", left))
-    prefix = vectors.where(F.col("rest") >= options.cosine**2).select("t", "gram")
-    a, b = prefix.select(F.col("t").alias("a"), "gram"), prefix.select(F.col("t").alias("b"), "gram")
-    near = F.abs(F.length("a") - F.length("b")) <= 2
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    prefix = vectors.where(F.col("rest") >= options.cosine**2).select("t", "gram", F.length("t").alias("size"), _bag("t").alias("bag"))
+    a, b = (prefix.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("t", "size", "bag"))) for x in "ab")
+    # two edits change the length by two at most, and put in and take out two letters at most
+    lost = [F.bit_count(F.col(f"bag_{x}").bitwiseAND(F.bitwise_not(f"bag_{y}"))) for x, y in ("ab", "ba")]
+    near = (F.abs(F.col("size_a") - F.col("size_b")) <= 2) & (lost[0] <= 2) & (lost[1] <= 2)
+    pairs = a.join(b, "gram").where(near & (F.col("t_a") < F.col("t_b"))).select(F.col("t_a").alias("a"), F.col("t_b").alias("b")).distinct()
     # what can be a slip at all, before the whole vectors are joined
     distance = F.levenshtein("a", "b", 2)
     close = pairs.withColumn("edits", distance).where("edits >= 0")
@@ -233,7 +241,7 @@ def similar_names(tokens: DataFrame, options: NameOptions) -> DataFrame:
     va, vb = vectors.select(F.col("t").alias("a"), "gram", F.col("w").alias("wa")), vectors.select(F.col("t").alias("b"), "gram", F.col("w").alias("wb"))
     products = close.union(slips).distinct().join(va, "a").join(vb, ["b", "gram"]).select("a", "b", "edits", (F.col("wa") * F.col("wb")).alias("cosine"))
     scored = products.union(slips.withColumn("cosine", F.lit(0.0))).groupBy("a", "b", "edits").agg(F.sum("cosine").alias("cosine"))
-    scored = scored.where((F.col("cosine") >= options.cosine) | a_slip).withColumn("cosine", F.greatest("cosine", F.lit(options.cosine)))
+    scored = stored(scored.where((F.col("cosine") >= options.cosine) | a_slip).withColumn("cosine", F.greatest("cosine", F.lit(options.cosine))))  # read in both orders
     return scored.union(scored.select(F.col("b"), F.col("a"), F.col("edits"), F.col("cosine")))
 
 

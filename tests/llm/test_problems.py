@@ -121,6 +121,19 @@ def test_a_name_keeps_all_its_partners(spark):
     assert len(partners) == 34 and partners - found == set()
 
 
+def test_similar_names_are_compared_once(spark):
+    rnd = random.Random(10)
+    names = {"".join(rnd.choice("abcde\u4e00\U00020000") for _ in range(rnd.randrange(3, 9))) for _ in range(300)}
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "t string")
+    near = N.similar_names(df, N.NameOptions())
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()  # both orders of a pair are read, not found anew
+    bags = df.select("t", N._bag("t").alias("bag"))
+    a, b = (bags.select(N.F.col("t").alias(x), N.F.col("bag").alias(f"bag_{x}")) for x in "ab")
+    bits = {(r.a, r.b): (r.edits, r.bag_a, r.bag_b) for r in a.crossJoin(b).select("*", N.F.levenshtein("a", "b").alias("edits")).collect()}
+    lost = {p: max((x & ~y).bit_count(), (y & ~x).bit_count()) for p, (_, x, y) in ((p, (v[0], v[1] % 2**64, v[2] % 2**64)) for p, v in bits.items())}
+    assert all(lost[p] <= v[0] for p, v in bits.items()) and any(lost[p] > 2 for p in bits)
+
+
 def test_long_names_are_compared_whole(spark):
     stem = "a" * 90
     names = [f"{stem}bcdf, Nadia", f"{stem}ghik, Nadia", "Velaud, A. B. C. D. E. F. G. H. I.", "Velaud, A. B. C. D. E. F. G. H. K."]
