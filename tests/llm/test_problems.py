@@ -270,6 +270,36 @@ def test_what_many_abstracts_say_is_no_key(spark):
     assert {len(r.abstract) for r in records.collect()} == {1}
 
 
+def test_abstracts_are_not_stored_anew(spark, monkeypatch):
+    kept, keep = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df, *by: kept.append(df.columns) or keep(df, *by))
+    told = [f"This page {k} was made by the publisher of it." for k in range(3)]
+    rows = [{"title": f"Title number {chr(97 + k % 26)}{k} of works", "abstract": " ".join([*told, f"Only the work {k} has this sentence."])} for k in range(60)]
+    records = M.prepare(spark.createDataFrame(_records(rows), _SCHEMA)).cache()
+    assert {len(r.abstract) for r in M.without_common(records, M.MatchOptions()).collect()} == {1}
+    assert not any("abstract" in columns for columns in kept)
+
+
+def test_copies_are_told_from_what_differs_in_nulls_and_bounds(spark):
+    one = (7, 0, "t", [1], "k", [2, 3], None, 5, None, 2001, [9], None)
+    other = [{3: [1, 2], 5: [3]}, {6: 5, 7: None}, {7: None, 8: 5}, {3: [], 5: [1, 2, 3]}, {10: []}, {10: [], 11: 9}]
+    rows = [one, *(tuple(o.get(k, v) for k, v in enumerate(one)) for o in other)]
+    df = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate([*rows, *rows])], M._PREPARED)
+    assert sorted((r.rid, r.first) for r in M.copies(df).collect()) == [(k + 7, k) for k in range(7)]
+
+
+def test_evidence_is_its_rule(spark):
+    some = [list(range(k, n)) for k in range(4) for n in range(k, k + 5)]
+    sides = list(itertools.product(some, some))
+    rnd = random.Random(12)
+    cases = [(k, *rnd.choice(sides), *rnd.choice(sides)) for k in range(3000)]
+    df = spark.createDataFrame(cases, "k int, wa array<int>, wb array<int>, na array<int>, nb array<int>")
+    found = {r.k: r.e for r in df.select("k", M._evidence(("wa", "wb"), ("na", "nb")).alias("e")).collect()}
+    for k, wa, wb, na, nb in cases:
+        words, names, w, n = len({*wa} & {*wb}), len({*na} & {*nb}), min(len(wa), len(wb)), min(len(na), len(nb))
+        assert found[k] == (words >= 3 or words >= w and (n == 0 or names > 0) or words >= 2 and n > 0 and names >= min(2, n)), cases[k]
+
+
 def test_kinds():
     assert X.kind_of(X.words_of("Correction to: A b"), False)[0] == "correction:/"
     assert X.kind_of(X.words_of("A b. Part II"), False) == (":ii/", ["a", "b"])
